@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.llm import chat, knn, langid, secrets, toxicity
+from webloom.llm import chat, decontam, knn, langid, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_language_id": langid.op3_language_id,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
+    "op7_mixing": mixing.op7_mixing,
     "op9_exact_top_k": knn.op9_exact_top_k,
     "op10_toxicity": toxicity.op10_toxicity,
 }
