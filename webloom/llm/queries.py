@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import chat, decontam, knn, langid, mixing, secrets, toxicity
+from webloom.llm import chat, decontam, knn, langid, mixing, pii, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op8_pii": pii.op8_pii,
     "op9_exact_top_k": knn.op9_exact_top_k,
     "op10_toxicity": toxicity.op10_toxicity,
 }
