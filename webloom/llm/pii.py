@@ -126,7 +126,7 @@ class Graph:
             inside = k < len(spans) and spans[k][0] < b
             base.append(spans[k][1] if inside else -1)
             # The first token of a base span stands for all of it.
-            names.append([key(token)] + [key(text[spans[k][0] : spans[k][2]])] * (inside and named != k))
+            names.append([key(token), key(text[spans[k][0] : spans[k][2]]) if inside and named != k else ""])
             named = k if inside else named
         self.base = base
         self.x = np.stack([features(t, y) for t, y in zip(tokens, base, strict=True)]) if tokens else np.zeros((0, FEATURES))
