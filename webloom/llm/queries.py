@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from webloom.llm import chat, decontam, knn, langid, mixing, pii, secrets, toxicity
+from webloom.llm import chat, decontam, jaccard, knn, langid, mixing, pii, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
