@@ -139,9 +139,12 @@ class Index:
         seen = np.unique(coded[coded >= 0])
         if not len(seen):
             return []
-        alive = self.live(seen, threshold)
-        if not alive.any():
+        # A passage holds no term that its text lacks, so the text's own scores bound its passages'.
+        reached = self.retrieve(seen, threshold)
+        if not reached:
             return []
+        alive = np.zeros(self.blocks, dtype=bool)
+        alive[[item // BLOCK for item, _ in reached]] = True
         step = max(64, self.longest)
         best: dict[int, tuple] = {}
         for k, at in enumerate(range(0, max(1, len(own) - step), step)):
