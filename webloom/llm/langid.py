@@ -168,7 +168,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: null texts, texts without a
-    letter, and those under the score ``least``. Learns from the labelled rows of ``docs``."""
-    model = train(docs)
+    letter, and those under the score ``least``. Learns from the labelled rows of ``docs`` that are not held out."""
+    model = train(docs.where(remainder(5) != 0))
     out = docs.withColumn("_lang", predict(spark, model, F.col("text")))
     return out.where((F.col("_lang.lang_pred") != UNDETERMINED) & (F.col("_lang.score") >= least)).drop("_lang")
