@@ -31,7 +31,7 @@ WORDS = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: So many frequent shingles, at most, are broadcast to be put last in the order.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: Shingles are counted in pieces of about this many; only repeats within a piece are sent on.
 PIECE = 4_000_000
 
@@ -162,8 +162,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > FREQUENT:
             least = row["n"] + 1
             break
-    top = counted.where(F.col("n") >= least).limit(FREQUENT).toPandas() if total else pd.DataFrame({"token": [], "n": []})
-    return top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
+    top = counted.where(F.col("n") >= least).limit(FREQUENT).toArrow()  # two longs a row, never Python rows
+    return top["token"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
