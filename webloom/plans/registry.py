@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from webloom.plans import pages
+
+QUERIES: dict = {**pages.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pages.ORACLE_SQL}
 FLAGSHIP = "page_links"
