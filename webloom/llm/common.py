@@ -41,7 +41,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks since the last such
@@ -49,7 +49,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
