@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from webloom.plans import pages
+from webloom.plans import cases, pages
 
-QUERIES: dict = {**pages.QUERIES}
-ORACLE_SQL: dict[str, str] = {**pages.ORACLE_SQL}
+QUERIES: dict = {**pages.QUERIES, **cases.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pages.ORACLE_SQL, **cases.ORACLE_SQL}
 FLAGSHIP = "page_links"
