@@ -148,7 +148,7 @@ def _maps(df: DataFrame) -> DataFrame:
 
 _MAP = json.dumps({"version": 3, "sources": ["webpack://app/./src/a.ts", "(webpack)/b", "c.ts"], "sourcesContent": ["x", "y", None], "mappings": "AAAA"})
 _case("p12_extract_stats", "map_id long, json string", [(1, _MAP), (2, '{"version":3,"sources":["a"],"mappings":""}')], _maps, "map_id:BIGINT total:BIGINT extracted:BIGINT skipped:BIGINT null_content:BIGINT", [(1, 3, 1, 1, 1), (2, 1, 0, 0, 1)])
-_case("p11_mapping_rows", "map_id long, mappings string", [(1, "AAAA,CAAC;AACA,EAAE")], M.mapping_rows, "map_id:BIGINT line:INTEGER seg:INTEGER column:BIGINT source:BIGINT src_line:BIGINT src_column:BIGINT name:BIGINT", [(1, 0, 0, 0, 0, 0, 0, None), (1, 0, 1, 1, 0, 0, 1, None), (1, 1, 0, 0, 0, 1, 1, None)])
+_case("p11_mapping_rows", "map_id long, mappings string", [(1, "AAAA,CAAC;AACA,EAAE")], M.mapping_rows, "map_id:BIGINT line:INTEGER seg:INTEGER column:BIGINT source:BIGINT src_line:BIGINT src_column:BIGINT name:BIGINT", [(1, 0, 0, 0, 0, 0, 0, None), (1, 0, 1, 1, 0, 0, 1, None), (1, 1, 0, 0, 0, 1, 1, None), (1, 1, 1, 2, 0, 1, 3, None)])
 _case("w03_offset_order", "map_id long, i int, line int, column int", [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 5, 1), (1, 3, -1, 0), (1, 4, 4, 9), (1, 5, 6, 0)], M.offset_order, "map_id:BIGINT i:INTEGER verdict:VARCHAR", [(1, 0, "ok"), (1, 1, "overlap"), (1, 2, "ok"), (1, 3, "invalid"), (1, 4, "unordered"), (1, 5, "ok")])
 
 
