@@ -267,7 +267,10 @@ def classes(docs: DataFrame) -> DataFrame:
         & ((F.col("b.component") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id")))
         & _fits(F.col("a.n"), F.col("b.n")),
     )
-    open_pairs = open_pairs.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("common"))
+    # Which side a pair's sets stand on differs from shingle to shingle; counted together, in one order.
+    ends = [f(F.struct(F.col("a.set_id").alias("id"), F.col("a.n").alias("n")), F.struct(F.col("b.set_id").alias("id"), F.col("b.n").alias("n"))) for f in (F.least, F.greatest)]
+    open_pairs = open_pairs.select(ends[0].alias("x"), ends[1].alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
+    open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "common")
     open_pairs = open_pairs.where(_needs(F.col("common") + F.greatest(_rest(F.col("na")), _rest(F.col("nb"))), F.col("na"), F.col("nb")))
     more = verified(open_pairs, docs)
     links = stored(links.union(_inside_rest(of_group, comp, docs)).union(more), "links")

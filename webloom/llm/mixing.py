@@ -89,12 +89,12 @@ def mix(docs: DataFrame, budget: int | None = None, target: float = ENTROPY, max
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks))
-    keyed = docs.drop("mix_epoch", "mix_block", "mix_order").withColumns({"_source": source, "_block": block})
-    per_block = stored(keyed.groupBy("_source", "_block").agg(F.sum(_count(F.col("text"))).alias("tokens")), "blocks")
-    rows = per_block.groupBy("_source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
+    keyed = docs.drop("mix_epoch", "mix_block", "mix_order").withColumns({"_mix_source": source, "_mix_b": block})
+    per_block = stored(keyed.groupBy("_mix_source", "_mix_b").agg(F.sum(_count(F.col("text"))).alias("tokens")), "blocks")
+    rows = per_block.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    tokens = {r["_source"]: r["tokens"] for r in rows}
+    tokens = {r["_mix_source"]: r["tokens"] for r in rows}
     total = sum(tokens.values())
     budget = total if budget is None else budget
     if budget > max_epochs * total:
@@ -104,39 +104,39 @@ def mix(docs: DataFrame, budget: int | None = None, target: float = ENTROPY, max
     for s, n in sorted(tokens.items()):
         own = round(shares[s] * budget)
         plan.append((s, own // n if n else 0, own % n if n else 0))
-    plan = spark.createDataFrame(plan, "_source string, full long, rest long")
-    block_key = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("_source"), F.col("_block"))
+    plan = spark.createDataFrame(plan, "_mix_source string, _mix_full long, _mix_rest long")
+    block_key = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("_mix_source"), F.col("_mix_b"))
     doc_key = lambda epoch: F.xxhash64(F.lit(seed + 1), epoch, F.col("doc_id"))
     # The block in which each source's last epoch ends, and the words left for that block.
-    along = Window.partitionBy("_source").orderBy("key", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("_mix_source").orderBy("key", "_mix_b").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        per_block.join(F.broadcast(plan), "_source").withColumn("key", block_key(F.col("full")))
-        .withColumn("upto", F.sum("tokens").over(along)).where(F.col("upto") > F.col("rest"))
-        .groupBy("_source").agg(F.min(F.struct("upto", "key", "_block", "tokens")).alias("e"))
-        .select("_source", F.col("e.key").alias("end_key"), F.col("e._block").alias("end_block"), F.col("e.tokens").alias("end_tokens"), F.col("e.upto").alias("end_upto"))
+        per_block.join(F.broadcast(plan), "_mix_source").withColumn("key", block_key(F.col("_mix_full")))
+        .withColumn("upto", F.sum("tokens").over(along)).where(F.col("upto") > F.col("_mix_rest"))
+        .groupBy("_mix_source").agg(F.min(F.struct("upto", "key", "_mix_b", "tokens")).alias("e"))
+        .select("_mix_source", F.col("e.key").alias("_mix_end_key"), F.col("e._mix_b").alias("_mix_end_block"), F.col("e.tokens").alias("_mix_end_tokens"), F.col("e.upto").alias("_mix_end_upto"))
     )
-    ends = plan.join(ends, "_source", "left").withColumn("room", F.col("rest") - (F.col("end_upto") - F.col("end_tokens")))
+    ends = plan.join(ends, "_mix_source", "left").withColumn("_mix_room", F.col("_mix_rest") - (F.col("_mix_end_upto") - F.col("_mix_end_tokens")))
     ends = spark.createDataFrame(ends.collect(), ends.schema)  # a row for each source
     # Within that block, the last place in the order that still fits; equal places stand together.
-    inside = Window.partitionBy("_source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_mix_source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
-        keyed.select("_source", "_block", "doc_id", "text")
-        .join(F.broadcast(ends.select("_source", F.col("end_block").alias("_block"), "full", "room")), ["_source", "_block"])
-        .select("_source", "room", doc_key(F.col("full")).alias("place"), _count(F.col("text")).alias("n"))
-        .withColumn("upto", F.sum("n").over(inside)).where(F.col("upto") <= F.col("room"))
-        .groupBy("_source").agg(F.max("place").alias("end_place"))
+        keyed.select("_mix_source", "_mix_b", "doc_id", "text")
+        .join(F.broadcast(ends.select("_mix_source", F.col("_mix_end_block").alias("_mix_b"), "_mix_full", "_mix_room")), ["_mix_source", "_mix_b"])
+        .select("_mix_source", "_mix_room", doc_key(F.col("_mix_full")).alias("place"), _count(F.col("text")).alias("n"))
+        .withColumn("upto", F.sum("n").over(inside)).where(F.col("upto") <= F.col("_mix_room"))
+        .groupBy("_mix_source").agg(F.max("place").alias("_mix_end_place"))
     )
-    ends = ends.join(last, "_source", "left").select("_source", "full", "rest", "end_key", "end_block", "end_place")
+    ends = ends.join(last, "_mix_source", "left").select("_mix_source", "_mix_full", "_mix_rest", "_mix_end_key", "_mix_end_block", "_mix_end_place")
     ends = spark.createDataFrame(ends.collect(), ends.schema)
-    out = keyed.join(F.broadcast(ends), "_source")
-    key, end_key = block_key(F.col("full")), F.col("end_key")
-    before = (key < end_key) | ((key == end_key) & (F.col("_block") < F.col("end_block")))
-    within = (F.col("_block") == F.col("end_block")) & (doc_key(F.col("full")) <= F.col("end_place"))
-    partial = F.when(F.col("rest") <= 0, False).when(end_key.isNull(), True).otherwise(before | F.coalesce(within, F.lit(False)))
-    epochs = F.col("full") + partial.cast("long")
-    out = out.withColumn("_n", epochs).where(F.col("_n") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    out = keyed.join(F.broadcast(ends), "_mix_source")
+    key, end_key = block_key(F.col("_mix_full")), F.col("_mix_end_key")
+    before = (key < end_key) | ((key == end_key) & (F.col("_mix_b") < F.col("_mix_end_block")))
+    within = (F.col("_mix_b") == F.col("_mix_end_block")) & (doc_key(F.col("_mix_full")) <= F.col("_mix_end_place"))
+    partial = F.when(F.col("_mix_rest") <= 0, False).when(end_key.isNull(), True).otherwise(before | F.coalesce(within, F.lit(False)))
+    epochs = F.col("_mix_full") + partial.cast("long")
+    out = out.withColumn("_mix_n", epochs).where(F.col("_mix_n") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_n") - 1)))
     out = out.withColumns({"mix_block": block_key(F.col("mix_epoch")), "mix_order": doc_key(F.col("mix_epoch"))})
-    return out.drop("_source", "_block", "full", "rest", "end_key", "end_block", "end_place", "_n")
+    return out.drop("_mix_source", "_mix_b", "_mix_full", "_mix_rest", "_mix_end_key", "_mix_end_block", "_mix_end_place", "_mix_n")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
