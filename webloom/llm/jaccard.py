@@ -35,6 +35,9 @@ FREQUENT = 500_000
 #: Shingles are counted in pieces of about this many; only repeats within a piece are sent on.
 PIECE = 4_000_000
 
+#: Up to so many doc_ids are broadcast to fetch texts to verify; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
 _BYTES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -170,7 +173,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose whole texts' shingle sets link."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    needed = stored(needed, "needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = stored(docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,6 +201,18 @@ def _needs(common: Column, a: Column, b: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (a + b)
 
 
+def _reaches(a: str, b: str) -> Column:
+    """Whether sets that share a prefix shingle can link, by its place in both.
+
+    What they share in front of it lies in both prefixes, so among the shingles there that
+    other groups have; what they share behind it is at most the shorter rest. This holds at
+    every shared shingle of a pair that links.
+    """
+    before = F.least(F.col(a + "ahead"), F.col(b + "ahead"))
+    behind = F.least(F.col(a + "n") - F.col(a + "pos"), F.col(b + "n") - F.col(b + "pos")) - 1
+    return _needs(before + 1 + behind, F.col(a + "n"), F.col(b + "n"))
+
+
 def _rest(n: Column) -> Column:
     """Shingles behind the prefix."""
     return F.ceil(F.lit(PERCENT) * n / 100).cast("long") - 1
@@ -241,12 +258,13 @@ def classes(docs: DataFrame) -> DataFrame:
     heads = heads.groupBy("n", "head").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
     postings = heads.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
-    shared = stored(shared, "shared")
+    # How many of a group's shingles in front of this one any other group has, too.
+    shared = stored(shared.withColumn("ahead", F.row_number().over(Window.partitionBy("gid").orderBy("pos")).cast("long") - 1), "shared")
     # First, each group with the first group of the same shingle and about the same size.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
     alike = Window.partitionBy("token", "band")
-    star = shared.withColumn("band", band).withColumn("h", F.min(F.struct("gid", "n", "pos")).over(alike)).where(F.col("gid") != F.col("h.gid"))
-    star = star.where(_fits(F.col("n"), F.col("h.n"))).groupBy("gid", F.col("h.gid").alias("hub"), "n", F.col("h.n").alias("hub_n")).agg(F.count("*").alias("common"))
+    star = shared.withColumn("band", band).withColumn("h", F.min(F.struct("gid", "n", "pos", "ahead")).over(alike)).where(F.col("gid") != F.col("h.gid"))
+    star = star.where(_fits(F.col("n"), F.col("h.n")) & _reaches("", "h.")).groupBy("gid", F.col("h.gid").alias("hub"), "n", F.col("h.n").alias("hub_n")).agg(F.count("*").alias("common"))
     star = star.where(_needs(F.col("common") + F.greatest(_rest(F.col("n")), _rest(F.col("hub_n"))), F.col("n"), F.col("hub_n")))
     first = star.join(of_group.select("gid", "set_id"), "gid").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
     inside = of_group.where("set_id <> gid").select(F.col("set_id").alias("a"), F.col("gid").alias("b"))
@@ -254,7 +272,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Then all pairs of sets that share a prefix shingle and are not in one component yet.
     comp = components(links)
     placed = shared.join(of_group.select("gid", "set_id"), "gid").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.select("token", "set_id", "n", "pos", F.coalesce("component", "set_id").alias("component"))
+    placed = placed.select("token", "set_id", "n", "pos", "ahead", F.coalesce("component", "set_id").alias("component"))
     token = Window.partitionBy("token")
     placed = placed.withColumns({"main": F.min("component").over(token), "last": F.max("component").over(token)}).where("main <> last").drop("last")
     # Sets in no group of several share a shingle only within their group; they were compared above.
@@ -265,23 +283,24 @@ def classes(docs: DataFrame) -> DataFrame:
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id")))
-        & _fits(F.col("a.n"), F.col("b.n")),
+        & _fits(F.col("a.n"), F.col("b.n"))
+        & _reaches("a.", "b."),
     )
     # Which side a pair's sets stand on differs from shingle to shingle; counted together, in one order.
     ends = [f(F.struct(F.col("a.set_id").alias("id"), F.col("a.n").alias("n")), F.struct(F.col("b.set_id").alias("id"), F.col("b.n").alias("n"))) for f in (F.least, F.greatest)]
     open_pairs = open_pairs.select(ends[0].alias("x"), ends[1].alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "common")
     open_pairs = open_pairs.where(_needs(F.col("common") + F.greatest(_rest(F.col("na")), _rest(F.col("nb"))), F.col("na"), F.col("nb")))
-    more = verified(open_pairs, docs)
-    links = stored(links.union(_inside_rest(of_group, comp, docs)).union(more), "links")
+    more = verified(open_pairs.select("a", "b").union(_inside_rest(of_group, comp)), docs)
+    links = stored(links.union(more), "links")
     whole = components(links).withColumnRenamed("node", "set_id")
     named = signed.join(sets, ["n", "head", "whole"], "left").join(whole, "set_id", "left")
     own = F.coalesce("set_id", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), own.alias("set_id"))
 
 
-def _inside_rest(of_group: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links within groups between sets that are still in different components.
+def _inside_rest(of_group: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs within groups of sets that are still in different components.
 
     Sets of a group agree on the prefix and differ behind it; groups of several sets whose
     sets are not all one component are rare, and their open pairs are compared here.
@@ -291,7 +310,7 @@ def _inside_rest(of_group: DataFrame, comp: DataFrame, docs: DataFrame) -> DataF
     placed = placed.withColumns({"main": F.min("component").over(group), "last": F.max("component").over(group)}).where("main <> last")
     a, b = placed.where("component <> main").alias("a"), placed.alias("b")
     pairs = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id"))))
-    return verified(pairs.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")), docs)
+    return pairs.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
