@@ -151,11 +151,8 @@ def resource_type(url: Column) -> Column:
 
 def skipped(url: Column) -> Column:
     """F-02: whether a crawl passes the URL over."""
-    path = F.lower(url_path(url))
-    by_ending = F.lit(False)
-    for ending in SKIPPED:
-        by_ending = by_ending | path.endswith(ending)
-    return ~is_http(url) | by_ending
+    endings = "|".join(e.lstrip(".") for e in SKIPPED)
+    return ~is_http(url) | F.lower(url_path(url)).rlike(rf"\.({endings})$")
 
 
 def query_params(url: Column) -> Column:
