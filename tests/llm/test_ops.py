@@ -199,6 +199,32 @@ def test_block_choices_find_all_close_hashes():
             assert any(x & m == y & m for m in choices)
 
 
+def edits(a, b):
+    """Edit distance, row by row."""
+    row = np.arange(len(b) + 1)
+    b = np.array(list(b))
+    for i, x in enumerate(a, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def test_lines_of_enough_edit_similarity_are_found(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstu"), int(rng.integers(2, 10)))) for _ in range(3000)]
+    pairs = []
+    for k in range(600):
+        a = [str(w) for w in rng.choice(vocabulary, (5, 10, 20, 30, 50, 100)[k % 6])]
+        b = list(a)
+        for at in rng.choice(len(a), max(1, int(len(a) * rng.uniform(0, 0.2))), replace=False):
+            b[at] = str(rng.choice(vocabulary)) if k % 2 else b[at][:-1] + "z"
+        a, b = " ".join(a), " ".join(b)
+        if a != b and edits(a, b) <= (1 - lines.SIMILARITY) * max(len(a), len(b)):
+            pairs.append((len(pairs), f"{a}\n{b}"))
+    found = {r["doc_id"] for r in lines.dropped(docs(spark, pairs)).collect()}
+    assert len(pairs) > 450 and len(found) >= 0.95 * len(pairs)
+
+
 def test_lines_odd(spark, odd, none):
     assert lines.stage(odd).count() == len(ODD)
     assert lines.stage(none).count() == 0
