@@ -225,6 +225,15 @@ def test_lines_of_enough_edit_similarity_are_found(spark):
     assert len(pairs) > 450 and len(found) >= 0.95 * len(pairs)
 
 
+def test_long_lines_with_characters_put_in(spark):
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefgh "), 20_000))
+    near = "#" + base[1:500] + "".join(rng.choice(list("abcdefgh "), 300)) + base[500:-1] + "#"
+    far = "#" + base[1:500] + "".join(rng.choice(list("abcdefgh "), 6000)) + base[500:-1] + "#"
+    pairs = spark.createDataFrame([(1, 2, base, near), (1, 3, base, far)], "a long, b long, ta string, tb string")
+    assert [(r["a"], r["b"]) for r in lines.similar(pairs).collect()] == [(1, 2)]
+
+
 def test_lines_odd(spark, odd, none):
     assert lines.stage(odd).count() == len(ODD)
     assert lines.stage(none).count() == 0
