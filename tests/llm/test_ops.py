@@ -234,6 +234,14 @@ def test_long_lines_with_characters_put_in(spark):
     assert [(r["a"], r["b"]) for r in lines.similar(pairs).collect()] == [(1, 2)]
 
 
+def test_short_and_unspaced_lines(spark):
+    rng = np.random.default_rng(10)
+    han = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 3000, 200))
+    near = han[:60] + "日" + han[61:150] + "本" + han[150:]
+    rows = [(1, f"All rights reserved.\nChapter 10\n{han}"), (2, f"{han}\nall  rights reserved."), (3, f"{near}\nChapter 11\n}}"), (4, "}\n" + han[::-1])]
+    assert {r["doc_id"]: r["drop"] for r in lines.dropped(docs(spark, rows)).collect()} == {2: [0, 1], 3: [0]}
+
+
 def test_lines_odd(spark, odd, none):
     assert lines.stage(odd).count() == len(ODD)
     assert lines.stage(none).count() == 0
