@@ -296,6 +296,13 @@ def test_pii_field_carries_labels():
     assert pii.find("in 2021 we had 42 of 7,000", pii.model())[1] == []
 
 
+def test_pii_field_carries_labels_over_many_mentions():
+    for text in ("+467788428984934 then " + "467788428984934 so " * 50, "467788428984934 so " * 50 + "+467788428984934"):
+        phone = pii.marginals(pii.Graph(text, pii.base_spans(text)), *pii.model())[:, pii.LABELS.index("phone")]
+        alike = np.delete(phone, text.split().index("+467788428984934") // 2)
+        assert len(alike) == 50 and (alike > 0.5).all() and np.ptp(alike) < 1e-3
+
+
 def test_pii_odd(spark, odd, none):
     assert all(r["f"]["spans"] == [] for r in odd.where("doc_id < 7").select(pii.scan(spark, F.col("text")).alias("f")).collect())
     assert none.select(pii.scan(spark, F.col("text"))).count() == 0
