@@ -99,13 +99,22 @@ def bundle_names(spark, d):
 
 
 def crawl_bfs(spark, d):
-    """G-01, T-04: a crawl from the first pages over links between pages of one host's folders."""
+    """G-01, T-04: a crawl over a made-up graph of 97 nodes with cycles; ``crawl_pages`` follows real links."""
     e = _t(spark, d, "events").select("user_id", "event_id")
     nodes = e.select((F.col("user_id") % 97).alias("a"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % 97).alias("b")).distinct()
     edges = nodes.select(F.concat(F.lit("/n/"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("/n/"), F.col("b").cast("string")).alias("dst"))
     return O.crawl(spark.createDataFrame([("/n/1",)], "url string"), edges, max_depth=5, max_pages=100, cut=cut)
 
 
+def crawl_pages(spark, d):
+    """G-01, T-04: a crawl from each origin's first page over the links of all pages."""
+    p = _t(spark, d, "pages").select("page_id", "url", "html")
+    named = p.select("page_id", U.origin(F.col("url")).alias("origin"), U.crawl_url(F.col("url")).alias("src"))
+    edges = cut(O.links(p).join(named, "page_id").select("src", F.col("link").alias("dst")).distinct())
+    seeds = named.groupBy("origin").agg(F.min_by("src", "page_id").alias("url")).select("url")
+    return O.crawl(seeds, edges, max_depth=5, max_pages=1000, cut=cut)
+
+
 def event_props(spark, d):
     """P-05, C-26: values out of event bodies; a body that is no JSON gives null."""
     v = F.try_parse_json(F.col("props"))
@@ -226,7 +235,7 @@ def fixture_match(spark, d):
 QUERIES = {f.__name__: f for f in (
     page_links, url_normalize_dedupe, url_pattern_groups, pattern_priority_rank, host_grouping_sets, html_metadata, ssr_test,
     normalized_hash_dupes, minified_heuristic, vendor_heuristic, number_features, url_local_paths, query_param_maps, bundle_names,
-    crawl_bfs, event_props, latest_phase, sequence_gaps, request_response_pairs, keyed_dedupe, capture_summary, relational_division,
+    crawl_bfs, crawl_pages, event_props, latest_phase, sequence_gaps, request_response_pairs, keyed_dedupe, capture_summary, relational_division,
     unique_source, dependency_usage, classify_customers, missing_files, version_statistics, top_five_versions, first_and_last,
     workspace_roots, running_sums, fixture_match,
 )}
@@ -276,6 +285,12 @@ ORACLE_SQL = {
     "crawl_bfs": """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 97 AS a, (user_id * 7 + event_id % 3) % 97 AS b FROM events),
       w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 5)
       SELECT '/n/' || node AS url, min(depth) AS depth FROM w GROUP BY node ORDER BY depth, url LIMIT 100""",
+    "crawl_pages": f"""WITH RECURSIVE {_P}, l AS (SELECT page_id, origin, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS h FROM p),
+      n AS (SELECT page_id, origin || {_ENC.replace('X', "CASE WHEN length(h) > 1 THEN regexp_replace(h, '/$', '') ELSE h END")} AS dst FROM l WHERE h LIKE '/%'),
+      c AS (SELECT page_id, origin, origin || CASE WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') ELSE path END || query AS src FROM p),
+      e AS (SELECT DISTINCT src, dst FROM n JOIN c USING (page_id)),
+      w(url, depth) AS (SELECT DISTINCT min_by(src, page_id), 0 FROM c GROUP BY origin UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 5)
+      SELECT url, min(depth) AS depth FROM w GROUP BY url ORDER BY depth, url LIMIT 1000""",
     "event_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_type(props) = 'OBJECT' THEN 'object' ELSE 'other' END AS shape FROM events",
     "latest_phase": "SELECT user_id, max_by(event_type, event_id) AS phase, max(event_id) AS last_seq, count(*) AS n_events FROM events GROUP BY 1",
     "sequence_gaps": "WITH l AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, min(event_id) AS first_gap FROM l WHERE event_id - b > 300 GROUP BY 1",
