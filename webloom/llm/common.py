@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +43,63 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+#: Written tables that are still there, by path.
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_rest() -> None:
+    for path, spark in _written.items():
+        _remove(spark, path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the duration of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str = "t", compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in folders by the few values of ``by`` if that is named.
 
     This cuts the lineage: a lost executor costs at most the tasks since the last such
-    table, and each plan stays small in loops. The files go when the driver ends.
+    table, and each plan stays small in loops. The write's shuffle files go when it is done,
+    as nothing reads them again; the table goes with ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "16"}):
+        (df.write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.webloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once whatever reads them has been written itself."""
+    for t in tables:
+        path = t.__dict__.get("webloom_path")
+        if path in _written:
+            _remove(_written.pop(path), path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df``, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _settled(e: DataFrame) -> bool:
@@ -84,8 +132,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("p")
         ).select("p.u", "p.v").where("u <> v").distinct()
-        e = stored(small, "edges")
+        last, e = e, stored(small, "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     lows = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(lows)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(lows)
+    out.webloom_path = e.webloom_path  # ``discard`` it when it has been read
+    return out
