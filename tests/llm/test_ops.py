@@ -348,3 +348,21 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 103: 100, 105: 100}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_with_repeated_doc_ids(spark):
+    x = " ".join(f"x{i}" for i in range(50))
+    rows = [(1, x), (2, x + " extra"), (2, " ".join(f"y{i}" for i in range(90))), (3, x + " extra2")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs(spark, rows)).collect()}
+    assert got == {1: (46, 1), 2: (47, 1), 3: (47, 1)}
+
+
+def test_shingles_of_words_that_polynomials_confuse():
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = ["w1", "w2", a, "w3", "w4", "w1", "w2", b, "w3", "w4"]
+    want = {tuple(words[i : i + 5]) for i in range(6)}
+    assert len(jaccard.shingle_set(" ".join(words))) == len(want) == 6
+    hashes = [jaccard.shingle_set(w)[0] for w in ("a", "ab", "a" * 8, "a" * 9, "a" * 16, "a" * 32, "a" * 33, "a\0", "a" * 8 + "\0")]
+    assert len(set(hashes)) == len(hashes)
+    assert jaccard.shingle_set("x " + "a" * 9)[0] == jaccard.shingle_set("X  " + "A" * 9)[0]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.llm.common import components, stored
+from webloom.llm.common import components, discard, stored
 
 WORDS = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
@@ -35,23 +35,15 @@ FREQUENT = 500_000
 #: Shingles are counted in pieces of about this many; only repeats within a piece are sent on.
 PIECE = 4_000_000
 
-#: Up to so many doc_ids are broadcast to fetch texts to verify; more are joined by a shuffle.
-BROADCAST_IDS = 400_000
+#: Words of the bitmap of wanted documents, 64 bits each: what is broadcast to pick texts, whatever the input.
+WANTED = 1 << 18
+#: Words of up to so many bytes are hashed side by side, longer ones one by one.
+SHORT = 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
-_BYTES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RNG.integers(1, 2**63, size=WORDS + 1, dtype=np.uint64) | np.uint64(1)
-_STEP, _SPAN = 0x9E3779B97F4A7C15, 1 << 20
-
-
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    up = np.full(_SPAN, _STEP, dtype=np.uint64)
-    down = np.full(_SPAN, pow(_STEP, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_SEEDS = _RNG.integers(1, 2**63, size=SHORT // 8 + 1, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,19 +53,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words: a polynomial over their bytes, then mixed."""
-    up, down = _powers()
+    """64-bit hashes of words: eight bytes at a time, mixed after each, so that no algebra makes words collide;
+    words of over ``SHORT`` bytes by BLAKE2b."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(sizes)
-    if ends[-1] > _SPAN:
-        if len(words) == 1:  # one very long word
-            return np.frombuffer(hashlib.blake2b(words[0], digest_size=8).digest(), dtype=np.uint64).copy()
-        half = len(words) // 2
-        return np.concatenate([_word_hashes(words[:half]), _word_hashes(words[half:])])
-    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)))
-    starts = ends - sizes
-    return _mix((sums[ends] - sums[starts]) * down[np.minimum(starts, _SPAN - 1)] + sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > SHORT)
+    for i in long:
+        words[i] = words[i][:SHORT]
+    most = max(8, -(-min(int(sizes.max()), SHORT) // 8) * 8)
+    # Fixed-width bytes: numpy pads with zeros, and the length below tells padding from zeros.
+    raw = np.array(words, dtype=f"S{most}").view(np.uint64).reshape(len(words), most // 8)
+    h = _mix(sizes.astype(np.uint64) * _SEEDS[-1])
+    for k in range(most // 8):
+        # Chunks that a word does not reach leave its hash as it is, whatever the other words' lengths.
+        h = np.where(sizes > 8 * k, _mix((h ^ raw[:, k]) * _SEEDS[k]), h)
+    return h
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    long = [(i, w) for i, w in enumerate(words) if len(w) > SHORT]
+    h = _word_hashes(words)
+    for i, w in long:
+        h[i] = np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), dtype=np.uint64)[0]
+    return h
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -85,7 +86,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = _word_hashes(words)
+    h = _hashes(words)
     if len(h) < WORDS:
         return _mix((h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + _PLACES[WORDS] * np.uint64(len(h)))
     out = h[: len(h) - WORDS + 1] * _PLACES[0]
@@ -166,17 +167,40 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = row["n"] + 1
             break
     top = counted.where(F.col("n") >= least).limit(FREQUENT).toArrow()  # two longs a row, never Python rows
+    discard(counted)
     return top["token"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole texts' shingle sets link."""
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (doc_id, text): for each row of ``wanted`` (doc_id, whole) the text whose set has the digest ``whole``.
+
+    A bitmap of fixed size tells in the scan which documents can be wanted, so that few texts
+    are shuffled; it is exact only together with the join behind it.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * WANTED))
+    bits = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask"))
+    seen = docs.withColumn("at", place).withColumn("word", F.shiftright("at", 6)).join(F.broadcast(bits), "word")
+    seen = seen.where(F.expr("shiftrightunsigned(mask, CAST(at & 63 AS INT)) & 1L = 1L")).select("doc_id", "text").join(wanted, "doc_id")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_digest(shingle_set(t)) == w for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    # Repeated rows of a doc_id: only the one that stands for it, and of equal sets one text.
+    return seen.select("doc_id", "text", "whole").mapInArrow(same, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, wholes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts' shingle sets link, as a written table.
+
+    ``wholes`` (doc_id, whole) has the digest of the set that stands for each document.
+    """
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = stored(needed, "needed")
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = stored(docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    needed = stored(needed.join(wholes, "doc_id"), "needed")
+    texts = stored(_wanted_texts(docs, needed), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lru_cache(maxsize=32)(shingle_set)
@@ -188,7 +212,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= PERCENT * (len(a) + len(b) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(check, "a long, b long")
+    out = stored(both.mapInPandas(check, "a long, b long"), "links")
+    discard(pairs, needed, texts)
+    return out
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -223,40 +249,34 @@ def classes(docs: DataFrame) -> DataFrame:
     set_id, the smallest doc_id with the same set.
 
     ``docs``: doc_id, text. Null texts count as empty; documents without a shingle are
-    components of their own. Rows without a doc_id are left out; repeated rows of a doc_id
-    count once.
+    components of their own. Rows without a doc_id are left out. Of repeated rows of a doc_id
+    the one with the smallest set stands for it, of equally large ones that with the least digest.
+    Tables that the result does not need are deleted before it is returned.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(Order(*frequent_shingles(docs)))
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, whole, head = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text)
-                n.append(len(own))
-                whole.append(_digest(own))
-                head.append(_digest(order.value.prefix(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(head, pa.binary())], names=["doc_id", "n", "whole", "head"])
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t) for t in batch.column(1).to_pylist()]
             heads = [order.value.prefix(x) for x in own]
             offsets = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
             values = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(h) for h in heads], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "head", "prefix"])
+            columns = [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([_digest(h) for h in heads], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "whole", "head", "prefix"])
 
-    signed = docs.mapInArrow(signatures, "doc_id long, n long, whole binary, head binary")
-    signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("n", "whole", "head")).alias("s")).select("doc_id", "s.*"), "signed")
+    rows = stored(docs.mapInArrow(sign, "doc_id long, n long, whole binary, head binary, prefix array<long>"), "shingled", "snappy")
+    signed = stored(rows.groupBy("doc_id").agg(F.min(F.struct("n", "whole", "head")).alias("s")).select("doc_id", "s.*"), "signed")
     # A set's first document stands for it; a group's first document stands for the group.
     sets = stored(signed.where("n > 0").groupBy("n", "head", "whole").agg(F.min("doc_id").alias("set_id")), "sets")
     groups = sets.groupBy("n", "head").agg(F.min("set_id").alias("gid"))
-    of_group = stored(sets.join(groups, ["n", "head"]).select("gid", "set_id", "n"), "groups")
-    heads = docs.mapInArrow(prefixes, "doc_id long, n long, head binary, prefix array<long>").where("n > 0")
-    heads = heads.groupBy("n", "head").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
-    postings = heads.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    of_group = stored(sets.join(groups, ["n", "head"]).select("gid", "set_id", "n", "head", "whole"), "groups")
+    wholes = of_group.select(F.col("set_id").alias("doc_id"), "whole")
+    # The prefix of the one row that gave its group the name: same document, same digests.
+    named = of_group.where("gid = set_id").select(F.col("gid").alias("doc_id"), "n", "head", "whole")
+    heads = rows.join(named, ["doc_id", "n", "head", "whole"], "left_semi").dropDuplicates(["doc_id"])
+    postings = heads.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
     # How many of a group's shingles in front of this one any other group has, too.
     shared = stored(shared.withColumn("ahead", F.row_number().over(Window.partitionBy("gid").orderBy("pos")).cast("long") - 1), "shared")
@@ -268,7 +288,8 @@ def classes(docs: DataFrame) -> DataFrame:
     star = star.where(_needs(F.col("common") + F.greatest(_rest(F.col("n")), _rest(F.col("hub_n"))), F.col("n"), F.col("hub_n")))
     first = star.join(of_group.select("gid", "set_id"), "gid").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
     inside = of_group.where("set_id <> gid").select(F.col("set_id").alias("a"), F.col("gid").alias("b"))
-    links = stored(verified(first.union(inside), docs), "links")
+    discard(rows)
+    links = verified(first.union(inside), docs, wholes)
     # Then all pairs of sets that share a prefix shingle and are not in one component yet.
     comp = components(links)
     placed = shared.join(of_group.select("gid", "set_id"), "gid").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -277,6 +298,7 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = placed.withColumns({"main": F.min("component").over(token), "last": F.max("component").over(token)}).where("main <> last").drop("last")
     # Sets in no group of several share a shingle only within their group; they were compared above.
     placed = stored(placed, "placed")
+    discard(shared)
     a, b = placed.where("component <> main").alias("a"), placed.alias("b")
     open_pairs = a.join(
         b,
@@ -291,12 +313,15 @@ def classes(docs: DataFrame) -> DataFrame:
     open_pairs = open_pairs.select(ends[0].alias("x"), ends[1].alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "common")
     open_pairs = open_pairs.where(_needs(F.col("common") + F.greatest(_rest(F.col("na")), _rest(F.col("nb"))), F.col("na"), F.col("nb")))
-    more = verified(open_pairs.select("a", "b").union(_inside_rest(of_group, comp)), docs)
-    links = stored(links.union(more), "links")
-    whole = components(links).withColumnRenamed("node", "set_id")
-    named = signed.join(sets, ["n", "head", "whole"], "left").join(whole, "set_id", "left")
+    more = verified(open_pairs.select("a", "b").union(_inside_rest(of_group, comp)), docs, wholes)
+    whole = components(links.union(more))
+    discard(links, more, comp, placed, of_group)
+    named = signed.join(sets, ["n", "head", "whole"], "left").join(whole.withColumnRenamed("node", "set_id"), "set_id", "left")
     own = F.coalesce("set_id", "doc_id")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), own.alias("set_id"))
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), own.alias("set_id"))
+    out = stored(named, "classes")
+    discard(signed, sets, whole)
+    return out
 
 
 def _inside_rest(of_group: DataFrame, comp: DataFrame) -> DataFrame:
@@ -325,6 +350,7 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay; of repeated rows of a kept doc_id all stay.
     """
-    kept = classes(docs.select("doc_id", "text")).where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    kept = stored(kept, "kept")
+    found = classes(docs.select("doc_id", "text"))
+    kept = stored(found.where(F.col("component_id") == F.col("doc_id")).select("doc_id"), "kept")
+    discard(found)
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
