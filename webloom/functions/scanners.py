@@ -53,7 +53,12 @@ def import_sources(code: str) -> list[str]:
     out, tokens = [], _tokens(code)
     kinds = [k for k, _ in tokens] + [""] * 3
     words = [w for _, w in tokens] + [""] * 3
+    declares = False  # whether what is being read began with import or export
     for i, (kind, word) in enumerate(tokens):
+        if word in ("import", "export"):
+            declares = True
+        elif word in (";", "=", "("):
+            declares = False
         if kind != "word" or (i and words[i - 1] == "."):
             continue
         called = words[i + 1] == "(" and kinds[i + 2] == "string" and words[i + 3] == ")"
@@ -61,35 +66,28 @@ def import_sources(code: str) -> list[str]:
             out.append(words[i + 2][1:-1])
         elif word == "import" and kinds[i + 1] == "string":
             out.append(words[i + 1][1:-1])
-        elif word == "from" and kinds[i + 1] == "string" and _declares(words, i):
+        elif word == "from" and kinds[i + 1] == "string" and declares:
             out.append(words[i + 1][1:-1])
     return out
 
 
-def _declares(words: list[str], at: int) -> bool:
-    """Whether the ``from`` at ``at`` belongs to an import or export declaration."""
-    for word in reversed(words[max(0, at - 400) : at]):
-        if word in ("import", "export"):
-            return True
-        if word in (";", "=", "("):
-            return False
-    return False
-
-
 def exported_names(code: str) -> list[str]:
     """P-26: names that a module exports itself, ``default`` among them, each once in order of first mention;
     re-exports from other modules are passed over."""
     tokens = _tokens(code)
     words = [w for _, w in tokens] + [""] * 4
     out: list[str] = []
+    closing, ends = None, [None] * len(words)  # the next closing brace from each place on
+    for i in range(len(words) - 1, -1, -1):
+        closing = i if words[i] == "}" else closing
+        ends[i] = closing
     for i, word in enumerate(words[: len(tokens)]):
         if word != "export" or (i and words[i - 1] == "."):
             continue
         after = words[i + 1]
         if after == "default":
             out.append("default")
-        elif after == "{" and "}" in words[i:]:
-            end = words.index("}", i)
+        elif after == "{" and (end := ends[i]) is not None:
             if words[end + 1] != "from":
                 for part in " ".join(words[i + 2 : end]).split(","):
                     if part.split():

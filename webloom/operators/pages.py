@@ -86,6 +86,36 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, cu
     return seen.orderBy("depth", "url").limit(max_pages)
 
 
+def ordered_links(pages: DataFrame) -> DataFrame:
+    """P-17: ``links`` with pos, a link's place among its page's links."""
+    found = F.transform(H.hrefs(F.col("html")), lambda h: U.resolve(F.col("url"), h))
+    own = F.filter(found, lambda u: (U.origin(u) == U.origin(F.col("url"))) & ~U.skipped(u))
+    return pages.select("page_id", F.posexplode(F.array_distinct(F.transform(own, U.crawl_url))).alias("pos", "link"))
+
+
+def crawl_in_order(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, cut) -> DataFrame:
+    """G-01, T-04: (url, depth, key) of a crawl that takes pages first in, first out, over ``edges`` (src, dst, pos),
+    from ``seeds`` (url, pos); at most ``max_pages`` pages in the order they are met.
+
+    A page's key is its seed's place followed by the places of the links that led to it, so pages of a
+    depth sort by their parents' order, then by place, without a sort of all rows. Of several
+    ways to a page the first counts. One join and one anti-join for each depth; only counts reach the driver.
+    """
+    seen = cut(seeds.groupBy("url").agg(F.min("pos").alias("pos")).select("url", F.lit(0).alias("depth"), F.array("pos").alias("key")))
+    frontier, n = seen, seen.count()
+    for depth in range(1, max_depth + 1):
+        if n >= max_pages:
+            break
+        met = frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url"), F.concat("key", F.array("pos")).alias("key"))
+        frontier = cut(met.groupBy("url").agg(F.min("key").alias("key")).join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth"), "key"))
+        found = frontier.count()
+        if not found:
+            break
+        n += found
+        seen = cut(seen.unionByName(frontier))
+    return seen.orderBy("depth", "key").limit(max_pages)
+
+
 def histogram(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """A-G04, A-G06: (name, key, n): a histogram for each of several keys and the total, in one pass."""
     spread = F.explode(F.array(F.struct(F.lit("total").alias("name"), F.lit(None).cast("string").alias("key")), *[F.struct(F.lit(k).alias("name"), c.cast("string").alias("key")) for k, c in keys.items()]))

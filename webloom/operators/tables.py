@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder named in spark.checkpoint.dir (a temporary one in local sessions) and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder's path below the one named in spark.checkpoint.dir (a temporary one in local sessions)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.gettempdir()
     path = f"{root.rstrip('/')}/webloom-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver ends; a session that has ended before keeps it."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM is gone
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to a new folder and read back."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
