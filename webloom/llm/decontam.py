@@ -2,9 +2,12 @@
 
 Every passage of every training text is a query. Postings hold each term's share of an
 item's own BM25 score, so a passage's score for an item is between 0 and 1 and one
-threshold fits all items. Items are grouped in blocks; a block is opened only if the
-maxima of the passage's terms in it can reach the threshold, and all items at or above
-the threshold are retrieved. What is retrieved is then verified on words.
+threshold fits all items. Items are grouped in blocks, and block-max WAND walks them in
+order: the pivot is the next block in which the maxima of the passage's terms reach the
+threshold; the walk skips to it, and postings in front of it are never read. As the threshold
+is fixed and everything above it is asked for, the pivots of a passage do not depend on what
+has been found, so they are all found at once, from the maxima alone. All items at or above
+the threshold are retrieved, and what is retrieved is then verified on words.
 """
 
 from __future__ import annotations
@@ -91,24 +94,27 @@ class Index:
         first = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(block) != 0)))) if len(rows) else np.zeros(0, dtype=np.int64)
         self.max_block = block[first] if len(rows) else np.zeros(0, dtype=np.int64)
         self.max_share = np.maximum.reduceat(self.post_share, first) if len(rows) else np.zeros(0)
+        # The postings of each (term, block) lie between two neighbours of these.
+        self.max_post = np.concatenate((first, [len(rows)]))
         self.max_at = np.searchsorted(term[first] if len(rows) else np.zeros(0), np.arange(len(self.terms) + 1))
         self.shingles = [shingles(w) for w in self.words]
         self.parts = [parts(w) for w in self.words]
 
-    def live(self, terms: np.ndarray, threshold: float, only: np.ndarray | None = None) -> np.ndarray:
-        """Which blocks can hold an item with at least ``threshold`` for a query of distinct ``terms``."""
+    def pivots(self, terms: np.ndarray, threshold: float, only: np.ndarray | None = None) -> np.ndarray:
+        """The (term, block) entries, as places in the maxima, of the blocks that can hold an item
+        with at least ``threshold`` for a query of distinct ``terms``; ``only`` rules out blocks."""
         at = _ranges(self.max_at[terms], self.max_at[terms + 1])
-        bound = np.bincount(self.max_block[at], weights=self.max_share[at], minlength=self.blocks)
+        block = self.max_block[at]
+        bound = np.bincount(block, weights=self.max_share[at], minlength=self.blocks)
         alive = bound >= threshold - 1e-9
-        return alive if only is None else alive & only
+        return at[(alive if only is None else alive & only)[block]]
 
     def retrieve(self, terms: np.ndarray, threshold: float, only: np.ndarray | None = None) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least ``threshold``, opening live blocks only."""
-        alive = self.live(terms, threshold, only)
-        if not alive.any():
+        """All (item, score) with a score of at least ``threshold``; only postings of pivot blocks are read."""
+        entries = self.pivots(terms, threshold, only)
+        if not len(entries):
             return []
-        at = _ranges(self.post_at[terms], self.post_at[terms + 1])
-        at = at[alive[self.post_item[at] // BLOCK]]
+        at = _ranges(self.max_post[entries], self.max_post[entries + 1])
         item, where = np.unique(self.post_item[at], return_inverse=True)
         score = np.bincount(where, weights=self.post_share[at], minlength=len(item))
         return [(int(i), float(s)) for i, s in zip(item, score, strict=True) if s >= threshold - 1e-9]
@@ -194,11 +200,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ma
     gives no hits; empty and null texts have none.
     """
     spark = docs.sparkSession
-    out, names = docs.drop("hits"), []
-    for k, index in enumerate(indexes(benchmark, max_items)):
-        out = out.withColumn(f"_hits{k}", hits(spark, F.col("text"), index, threshold))
-        names.append(f"_hits{k}")
-    return out.withColumn("hits", F.concat(*names)).drop(*names)
+    found = [hits(spark, F.col("text"), index, threshold) for index in indexes(benchmark, max_items)]
+    return docs.withColumn("hits", F.concat(*found))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

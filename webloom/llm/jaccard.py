@@ -44,6 +44,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _RNG = np.random.default_rng(20240229)
 _PLACES = _RNG.integers(1, 2**63, size=WORDS + 1, dtype=np.uint64) | np.uint64(1)
 _SEEDS = _RNG.integers(1, 2**63, size=SHORT // 8 + 1, dtype=np.uint64) | np.uint64(1)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,28 +53,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words: eight bytes at a time, mixed after each, so that no algebra makes words collide;
-    words of over ``SHORT`` bytes by BLAKE2b."""
+    words of over ``SHORT`` bytes by BLAKE2b. A word's hash does not depend on the words beside it."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    long = np.flatnonzero(sizes > SHORT)
-    for i in long:
-        words[i] = words[i][:SHORT]
-    most = max(8, -(-min(int(sizes.max()), SHORT) // 8) * 8)
-    # Fixed-width bytes: numpy pads with zeros, and the length below tells padding from zeros.
-    raw = np.array(words, dtype=f"S{most}").view(np.uint64).reshape(len(words), most // 8)
+    starts = np.cumsum(sizes) - sizes
+    raw = b"".join(words) + bytes(8)
+    eight = np.ndarray((len(raw) - 7,), dtype=np.uint64, buffer=raw, strides=(1,))  # the eight bytes from each place on
     h = _mix(sizes.astype(np.uint64) * _SEEDS[-1])
-    for k in range(most // 8):
-        # Chunks that a word does not reach leave its hash as it is, whatever the other words' lengths.
-        h = np.where(sizes > 8 * k, _mix((h ^ raw[:, k]) * _SEEDS[k]), h)
-    return h
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    long = [(i, w) for i, w in enumerate(words) if len(w) > SHORT]
-    h = _word_hashes(words)
-    for i, w in long:
-        h[i] = np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), dtype=np.uint64)[0]
+    for k in range(-(-min(int(sizes.max()), SHORT) // 8)):
+        own = np.flatnonzero(sizes > 8 * k)
+        chunk = eight[starts[own] + 8 * k] & _MASKS[np.minimum(sizes[own] - 8 * k, 8)]
+        h[own] = _mix((h[own] ^ chunk) * _SEEDS[k])
+    for i in np.flatnonzero(sizes > SHORT):
+        h[i] = np.frombuffer(hashlib.blake2b(words[i], digest_size=8).digest(), dtype=np.uint64)[0]
     return h
 
 

@@ -1,7 +1,8 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the normalised number of character n-grams (one to four
-long, a blended spectrum) that both hold. Landmarks and the Nyström method turn it into
+long, a blended spectrum) that both hold; each length has places of its own, more of them
+the longer it is, so that long texts do not fill those of the short ones. Landmarks and the Nyström method turn it into
 a bounded feature map; one-versus-rest kernel ridge regression is solved on that map.
 """
 
@@ -15,14 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DIMENSIONS = 8192
-ORDERS = (1, 2, 3, 4)
-#: Bounds of the training sample: rows of a language, and landmarks in all.
+from webloom.llm.common import fresh
+
+#: Places of the n-grams of each length.
+SPACES = {1: 2048, 2: 8192, 3: 8192, 4: 16384}
+DIMENSIONS = sum(SPACES.values())
+#: Bounds of the training sample: rows of a language, rows in all, and landmarks in all.
 ROWS_PER_LANGUAGE = 400
+ROWS = 40_000
 LANDMARKS = 192
-MAX_LANGUAGES = 500
 RIDGE = 1e-2
 SHARPNESS = 4.0
+#: The stage rejects texts whose score is under so many times that of a guess.
+OVER_GUESS = 1.2
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 #: So many code points are turned into n-grams at a time; pieces overlap by the longest order.
@@ -33,13 +39,14 @@ def presence(text: str, out: np.ndarray) -> None:
     """Mark in ``out`` (bool, DIMENSIONS) each hashed n-gram of the whole lower-cased text."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     for at in range(0, len(codes), _PIECE):
-        piece = codes[at : at + _PIECE + max(ORDERS) - 1]
-        value = np.zeros(len(piece), dtype=np.uint32)
-        for n in ORDERS:
+        piece = codes[at : at + _PIECE + max(SPACES) - 1]
+        value, first = np.zeros(len(piece), dtype=np.uint32), 0
+        for n, size in SPACES.items():
             if len(piece) < n:
                 break
             value = (value[: len(piece) - n + 1] + np.uint32(n)) * np.uint32(0x01000193) ^ (piece[n - 1 :] * _FACTORS[n - 1])
-            out[(value ^ (value >> np.uint32(15))) % np.uint32(DIMENSIONS)] = True
+            out[(value ^ (value >> np.uint32(15))) % np.uint32(size) + np.uint32(first)] = True
+            first += size
 
 
 def _rows(texts) -> np.ndarray:
@@ -94,27 +101,31 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS) -> M
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from at most ``per_language`` labelled rows of each language.
+    """Learn from at most ``per_language`` labelled rows of each language, ``ROWS`` in all.
 
     Rows without a language or a text are passed over. The rows kept are those whose
-    hashed doc_id is least, so the sample does not depend on partitions; the driver
-    receives one bit for each dimension of a row, never a text.
+    hashed doc_id is least, so the sample does not depend on partitions; of repeated rows of a
+    doc_id and language the least text counts, so the sample keeps its bound. The driver
+    receives one bit for each dimension of a row, never a text. Without a labelled row nothing is learned.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = labelled.select("doc_id", "lang").distinct()
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    each = min(per_language, ROWS // max(1, languages))
+    if languages and not each:
+        raise ValueError(f"over {ROWS} languages; raise ROWS")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    bound = per_language * MAX_LANGUAGES
-    chosen = ids.limit(bound + 1).collect()
-    if len(chosen) > bound:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; raise MAX_LANGUAGES")
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).collect()
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["n"]) for r in chosen], f"doc_id {dict(labelled.dtypes)['doc_id']}, lang string, n int")
+    sample = labelled.alias("a").join(F.broadcast(few.alias("b")), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.lang") == F.col("b.lang")))
+    sample = sample.groupBy("a.lang", "b.n").agg(F.min("a.text").alias("text"))
 
     def pack(batches):
         for b in batches:
             rows = _rows(b["text"])
             yield pd.DataFrame({"lang": b["lang"], "n": b["n"], "bits": [x.tobytes() for x in np.packbits(rows, axis=1)]})
 
-    rows = labelled.join(F.broadcast(few), ["doc_id", "lang"]).mapInPandas(pack, "lang string, n int, bits binary").collect()
+    rows = sample.mapInPandas(pack, "lang string, n int, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["n"], r["bits"]))
     bits = np.stack([np.frombuffer(r["bits"], dtype=np.uint8) for r in rows]) if rows else np.zeros((0, DIMENSIONS // 8), dtype=np.uint8)
     return fit(bits, [r["lang"] for r in rows])
@@ -125,7 +136,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
 
     A text that is null or has no letter gives ``und`` with score 0, and so does any text
     if nothing was learned. The score is a softmax over the languages' margins. Rows are
-    scored 256 at a time, so that a batch's presence matrix stays at 2 MB of bits.
+    scored 64 at a time, so that a batch's presence matrix stays at 9 MB of floats.
     """
     sent = spark.sparkContext.broadcast(model)
 
@@ -135,8 +146,8 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
             names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
             values = texts.to_numpy()
             known = np.array([i for i, t in enumerate(values) if t is not None and own.languages and any(map(str.isalpha, t))], dtype=int)
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
+            for at in range(0, len(known), 64):
+                part = known[at : at + 64]
                 margins = own.margins(_rows(values[part])).astype(np.float64) * SHARPNESS
                 share = np.exp(margins - margins.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)
@@ -166,9 +177,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def stage(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, over_guess: float = OVER_GUESS) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: null texts, texts without a
-    letter, and those under the score ``least``. Learns from the labelled rows of ``docs`` that are not held out."""
+    letter, and those whose best language scores under ``over_guess`` times an even share of all
+    languages, where the kernels prefer none. Learns from the labelled rows of ``docs`` that are
+    not held out; with one language or none only the first two kinds go. Repeated rows go or stay together."""
     model = train(docs.where(remainder(5) != 0))
-    out = docs.withColumn("_lang", predict(spark, model, F.col("text")))
-    return out.where((F.col("_lang.lang_pred") != UNDETERMINED) & (F.col("_lang.score") >= least)).drop("_lang")
+    many = len(model.languages)
+    told = fresh(docs, "language_told")[0]
+    out = docs.withColumn(told, predict(spark, model, F.col("text")))
+    sure = F.col(f"{told}.score") >= (over_guess / many if many > 1 else 0.0)
+    return out.where((F.col(f"{told}.lang_pred") != UNDETERMINED) & sure).drop(told)

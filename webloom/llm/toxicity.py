@@ -84,8 +84,9 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
 
     ``known``: 1, 0, or -1 where the label is not known; known rows stay as they are while the
     rates are estimated, and all rows get a posterior in the end. A voter's weight falls with
-    the sum of squares of its correlations, within a class, with the other voters, so that a word
-    and its own stem count about once.
+    the sum of squares of its correlations with the other voters, within each class by its share, so
+    that a word and its own stem count about once. Known rows fix which class is which; the accuracies
+    are estimated from them and from the unknown rows' votes together.
     """
     x = votes.astype(np.float64)
     n, v = x.shape
@@ -102,7 +103,7 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
                 centred = (x - rates[y]) * np.sqrt(p)[:, None]
                 cov = centred.T @ centred / max(p.sum(), 1e-9)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                square += (1 if y else 0.0) * (cov / sd[:, None] / sd[None, :]) ** 2
+                square += p.mean() * (cov / sd[:, None] / sd[None, :]) ** 2
             np.fill_diagonal(square, 0)
             square[square < 0.05] = 0  # noise of a finite sample
             weights = 1 / np.sqrt(1 + square.sum(axis=1))
@@ -140,15 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
     """Learn from at most ``per_class`` labelled rows of each class (text of ``docs``, toxic of ``labels``).
 
     A document labelled more than once counts as toxic if any label says so; labels other
-    than 0 and 1 and labels of unknown documents are passed over. Without rows of both
-    classes every text scores 0.5 or less.
+    than 0 and 1 and labels of unknown documents are passed over. Of repeated rows of a document
+    the least text counts, null and empty texts vote by their silence. Without rows of both classes
+    every text scores 0.5 or less.
     """
     spark = docs.sparkSession
     said = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = said.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("doc_id", "toxic")
     few = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in few.collect()], f"doc_id {dict(labels.dtypes)['doc_id']}, toxic int")  # 2 * per_class at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # Repeated rows of a doc_id: one text stands for it, so the sample keeps its bound.
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def spread(batches):
         for b in batches:
