@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm.common import fresh
+
 K1, B = 1.2, 0.75
 BLOCK = 16
 THRESHOLD = 0.6
@@ -193,15 +195,15 @@ def hits(spark: SparkSession, text: Column, index: Index, threshold: float = THR
     return F.pandas_udf(run, "array<struct<" + ", ".join(x.replace(" ", ":") for x in HIT.split(", ")) + ">>")(text)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``docs`` with ``hits``: the verified benchmark items that each whole text holds.
+def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS, column: str = "hits") -> DataFrame:
+    """``docs`` with ``column``: the verified benchmark items that each whole text holds.
 
-    Row by row, without a shuffle. A column named hits is replaced. An empty benchmark
-    gives no hits; empty and null texts have none.
+    Row by row, without a shuffle, so repeated rows have the same hits each. A column of the name
+    is replaced, all others stay. An empty benchmark gives no hits; empty and null texts have none.
     """
     spark = docs.sparkSession
     found = [hits(spark, F.col("text"), index, threshold) for index in indexes(benchmark, max_items)]
-    return docs.withColumn("hits", F.concat(*found))
+    return docs.withColumn(column, F.concat(*found))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +217,5 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    return scan(docs, benchmark).where(F.size("hits") == 0).drop("hits")
+    held = fresh(docs, "benchmark_hits")[0]
+    return scan(docs, benchmark, column=held).where(F.size(held) == 0).drop(held)
