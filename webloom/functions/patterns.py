@@ -51,10 +51,8 @@ def _names() -> Column:
 
 
 def is_dynamic(segment: Column) -> Column:
-    hit = F.lit(False)
-    for pattern in DYNAMIC:
-        hit = hit | segment.rlike(pattern)
-    return hit
+    """Whether a segment looks like a value; one expression with all patterns, so a segment is looked at once."""
+    return segment.rlike("|".join(f"(?:{p})" for p in DYNAMIC))
 
 
 def segments(path: Column) -> Column:

@@ -83,20 +83,26 @@ def canonical(url: Column) -> Column:
     return F.when(is_http(url), whole).otherwise(url)
 
 
-def resolve(base: Column, ref: Column) -> Column:
+def base_parts(base: Column) -> dict[str, Column]:
+    """What ``resolve`` needs of a base, to be computed once where many references share it."""
+    path = url_path(base)
+    return {"is_http": is_http(base), "scheme": F.lower(_part(base, 1)), "origin": origin(base), "path": path, "folder": F.regexp_replace(path, r"[^/]*$", ""), "query": query(base)}
+
+
+def resolve(base: Column, ref: Column, parts: dict[str, Column] | None = None) -> Column:
     """C-11, C-12: ``ref`` as seen from the page ``base``; absolute and data URLs as they are,
-    a bad base gives ``ref``."""
-    folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
+    a bad base gives ``ref``. ``parts`` are the base's, if they are known."""
+    of = parts or base_parts(base)
     ref_path = F.regexp_extract(ref, r"^[^?#]*", 0)
     rest = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
     return (
         F.when(ref.rlike(r"^(?i:https?://|data:)") | ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
-        .when(~is_http(base), ref)
-        .when(ref.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin(base), ref))
-        .when(ref == "", F.concat(origin(base), url_path(base), query(base)))
-        .when(ref_path == "", F.concat(origin(base), url_path(base), F.when(ref.startswith("#"), query(base)).otherwise(""), ref))
-        .otherwise(canonical(F.concat(origin(base), folder, ref_path, rest)))
+        .when(~of["is_http"], ref)
+        .when(ref.startswith("//"), F.concat(of["scheme"], F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(of["origin"], ref))
+        .when(ref == "", F.concat(of["origin"], of["path"], of["query"]))
+        .when(ref_path == "", F.concat(of["origin"], of["path"], F.when(ref.startswith("#"), of["query"]).otherwise(""), ref))
+        .otherwise(canonical(F.concat(of["origin"], of["folder"], ref_path, rest)))
     )
 
 

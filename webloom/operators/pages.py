@@ -11,12 +11,21 @@ from webloom.functions import patterns as P
 from webloom.functions import urls as U
 
 
+def _own_links(pages: DataFrame) -> DataFrame:
+    """(page_id, own): the links of each page to its own origin, each once, in order. A page's own address is
+    taken apart once, not for each link."""
+    parts = U.base_parts(F.col("url"))
+    rows = pages.select("page_id", "url", H.hrefs(F.col("html")).alias("refs"), *[c.alias(f"base_{k}") for k, c in parts.items()])
+    known = {k: F.col(f"base_{k}") for k in parts}
+    found = rows.select("page_id", "base_origin", F.transform("refs", lambda h: U.resolve(F.col("url"), h, known)).alias("found"))
+    own = F.filter("found", lambda u: (U.origin(u) == F.col("base_origin")) & ~U.skipped(u))
+    return found.select("page_id", F.array_distinct(F.transform(own, U.crawl_url)).alias("own"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """P-17: (page_id, link), each link of a page to its own origin once. No shuffle: links are
     made distinct within the page's array before they are spread."""
-    found = F.transform(H.hrefs(F.col("html")), lambda h: U.resolve(F.col("url"), h))
-    own = F.filter(found, lambda u: (U.origin(u) == U.origin(F.col("url"))) & ~U.skipped(u))
-    return pages.select("page_id", F.explode(F.array_distinct(F.transform(own, U.crawl_url))).alias("link"))
+    return _own_links(pages).select("page_id", F.explode("own").alias("link"))
 
 
 def request_paths(pages: DataFrame) -> DataFrame:
@@ -52,15 +61,23 @@ def match_requests(requests: DataFrame, fixtures: DataFrame) -> DataFrame:
     """J-05: each request (req_id, method, path) with its fixture (fixture_id, method, path, pattern,
     priority): the exact path first, else the fixture of highest priority whose pattern matches.
 
-    An equi-join finds exact paths; only what is left goes to the pattern join, on method and
-    number of segments, so the regular expression runs on few pairs.
+    An equi-join finds exact paths. For what is left, a pattern's mask tells which of its parts are
+    parameters; a request's path is masked by each mask that patterns of its method and length
+    have, and joined on what remains: the regular expression, which decides, sees only pairs that
+    agree in all fixed parts.
     """
-    fx = fixtures.withColumns({"depth": F.size(P.segments(F.col("pattern"))), "regex": P.request_regex(F.col("pattern"))})
-    rq = requests.withColumns({"path": U.request_path(F.col("path"))}).withColumn("depth", F.size(P.segments(F.col("path"))))
+    parts = F.split(F.col("pattern"), "/")
+    free = F.transform(parts, lambda s: s.rlike(":[A-Za-z0-9_]"))
+    masked = lambda xs, m: F.array_join(F.zip_with(xs, m, lambda s, f: F.when(f, "*").otherwise(s)), "/")
+    fx = fixtures.withColumns({"mask": free, "fixed": masked(parts, free), "regex": P.request_regex(F.col("pattern"))})
+    rq = requests.withColumns({"path": U.request_path(F.col("path"))})
     exact = rq.alias("r").join(fx.alias("f"), (F.col("r.method") == F.col("f.method")) & (F.col("r.path") == F.col("f.path")))
     exact = exact.groupBy("req_id").agg(F.min_by("fixture_id", F.struct(-F.col("priority"), F.col("fixture_id"))).alias("fixture_id")).withColumn("kind", F.lit("exact"))
     rest = rq.join(exact, "req_id", "left_anti")
-    loose = rest.alias("r").join(fx.alias("f"), (F.col("r.method") == F.col("f.method")) & (F.col("r.depth") == F.col("f.depth")) & F.expr("r.path rlike f.regex"))
+    masks = fx.select("method", "mask", F.size("mask").alias("n_parts")).distinct()
+    seen = rest.withColumn("n_parts", F.size(F.split("path", "/"))).join(masks, ["method", "n_parts"])
+    seen = seen.select("req_id", "method", "path", "mask", masked(F.split("path", "/"), F.col("mask")).alias("fixed"))
+    loose = seen.alias("r").join(fx.alias("f"), (F.col("r.method") == F.col("f.method")) & (F.col("r.fixed") == F.col("f.fixed")) & (F.col("r.mask") == F.col("f.mask")) & F.expr("r.path rlike f.regex"))
     loose = loose.groupBy("req_id").agg(F.min_by("fixture_id", F.struct(-F.col("priority"), F.col("fixture_id"))).alias("fixture_id")).withColumn("kind", F.lit("pattern"))
     return exact.unionByName(loose)
 
@@ -88,9 +105,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, cu
 
 def ordered_links(pages: DataFrame) -> DataFrame:
     """P-17: ``links`` with pos, a link's place among its page's links."""
-    found = F.transform(H.hrefs(F.col("html")), lambda h: U.resolve(F.col("url"), h))
-    own = F.filter(found, lambda u: (U.origin(u) == U.origin(F.col("url"))) & ~U.skipped(u))
-    return pages.select("page_id", F.posexplode(F.array_distinct(F.transform(own, U.crawl_url))).alias("pos", "link"))
+    return _own_links(pages).select("page_id", F.posexplode("own").alias("pos", "link"))
 
 
 def crawl_in_order(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, cut) -> DataFrame:

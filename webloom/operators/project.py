@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webloom.functions import semver as V
 from webloom.functions import signals as S
 from webloom.functions.paths import extension
+from webloom.operators.tables import numbered
 
 
 def banner_versions(deps: DataFrame, banners: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def search_order(versions: DataFrame, hint: str) -> DataFrame:
     """W-08: (version, rank): tagged versions first, then by their distance from the hint, newer ones winning ties."""
     v, h = V.numbers(F.col("version")), V.numbers(F.lit(hint))
     gap = F.abs(v[0] - h[0]) * 1_000_000 + F.abs(v[1] - h[1]) * 1_000 + F.abs(v[2] - h[2])
-    return versions.withColumn("rank", F.row_number().over(Window.orderBy(F.col("tag").isNull(), gap, F.desc("published"), "version"))).select("version", "rank")
+    ranked = numbered(versions, [F.col("tag").isNull(), gap, F.desc("published"), F.col("version")], "rank")
+    return ranked.select("version", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def first_found(attempts: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from webloom.functions import patterns as P
 from webloom.functions import urls as U
 from webloom.functions import paths as T
 from webloom.operators import pages as O
-from webloom.operators.tables import cut
+from webloom.operators import relations as RL
+from webloom.operators.tables import cut, numbered
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,8 @@ def pattern_priority_rank(spark, d):
     """C-20, T-01: fixtures in the order of their own priority, one for each pattern."""
     r = O.with_pattern(O.request_paths(_t(spark, d, "pages").select("page_id", "url")))
     g = r.groupBy("pattern").agg(F.min("page_id").alias("ord")).withColumn("sort_priority", P.sort_priority(F.col("pattern")))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sort_priority"), "ord")))
+    ranked = numbered(g, [F.desc("sort_priority"), F.col("ord")], "rank")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def host_grouping_sets(spark, d):
@@ -156,38 +158,30 @@ def capture_summary(spark, d):
 
 def relational_division(spark, d):
     """J-13: orders that hold both return flags R and A, and the number of their lines."""
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
-    need = ["R", "A"]
-    g = li.groupBy("l_orderkey").agg(F.count_distinct(F.when(F.col("l_returnflag").isin(need), F.col("l_returnflag"))).alias("held"), F.count("*").alias("n"))
-    return g.where(F.col("held") == len(need)).select("l_orderkey", "n")
+    return RL.holding_all(_t(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), "l_orderkey", "l_returnflag", ["R", "A"])
 
 
 def unique_source(spark, d):
     """J-14: customers whose orders all have one status, and that status."""
-    o = _t(spark, d, "orders").select("o_custkey", "o_orderstatus")
-    g = o.groupBy("o_custkey").agg(F.min("o_orderstatus").alias("low"), F.max("o_orderstatus").alias("high"))
-    return g.where("low = high").select("o_custkey", F.col("low").alias("status"))
+    return RL.only_value(_t(spark, d, "orders"), "o_custkey", "o_orderstatus", "status")
 
 
 def dependency_usage(spark, d):
     """A-G01, A-G02: for every part kind, how many distinct orders use it, and the first one."""
     li = _t(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct()
     p = _t(spark, d, "part").select("p_partkey", "p_type")
-    return li.join(p, li.l_partkey == p.p_partkey).groupBy("p_type").agg(F.count_distinct("l_orderkey").alias("n_orders"), F.min("l_orderkey").alias("first_order"))
+    return RL.uses(li.join(p, li.l_partkey == p.p_partkey), "p_type", "l_orderkey")
 
 
 def classify_customers(spark, d):
     """J-07: customers by whether they have orders: semi and anti classification in one join."""
-    c = _t(spark, d, "customer").select("c_custkey")
-    o = _t(spark, d, "orders").select("o_custkey").distinct().withColumn("hit", F.lit(True))
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.when(F.col("hit"), "external").otherwise("internal").alias("kind"))
+    return RL.classified(_t(spark, d, "customer"), "c_custkey", _t(spark, d, "orders"), "o_custkey", "external", "internal")
 
 
 def missing_files(spark, d):
-    """J-10, U-08, S-27: customers without an urgent open order, by anti-join."""
-    c = _t(spark, d, "customer").select("c_custkey")
-    o = _t(spark, d, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'O'").select("o_custkey")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
+    """J-10, U-08: customers without an urgent open order, by anti-join."""
+    urgent = _t(spark, d, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'O'").select("o_custkey")
+    return RL.without(_t(spark, d, "customer").select("c_custkey"), "c_custkey", urgent, "o_custkey")
 
 
 def version_statistics(spark, d):
@@ -204,24 +198,17 @@ def top_five_versions(spark, d):
 
 def first_and_last(spark, d):
     """A-G15: the first and the last status of every customer's orders."""
-    o = _t(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.min_by("o_orderstatus", "o_orderkey").alias("first"), F.max_by("o_orderstatus", "o_orderkey").alias("last"))
+    return RL.ends(_t(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderkey")
 
 
 def workspace_roots(spark, d):
     """A-G13, W-09: a folder for each user by the strongest kind of evidence that there is."""
-    tier = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).otherwise(4)
-    e = _t(spark, d, "events").select("user_id", "event_id", tier.alias("tier"))
-    return e.groupBy("user_id").agg(F.min("tier").alias("tier"), F.min_by("event_id", F.struct("tier", "event_id")).alias("event_id"))
+    return RL.strongest(_t(spark, d, "events"), "user_id", {"purchase": 1, "signup": 2, "click": 3}, "event_type", "event_id", 4)
 
 
 def running_sums(spark, d):
     """W-02, W-07: running sums over a user's log, with and without a reset at each event type, and a running index."""
-    e = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.floor("value").cast("long").alias("q"))
-    whole = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return e.select("event_id", F.sum("q").over(whole).alias("in_log"), F.sum("q").over(part).alias("in_type"), index.alias("ord"))
+    return RL.running(_t(spark, d, "events"), "user_id", "event_type", "event_id", F.floor("value").cast("long"))
 
 
 def fixture_match(spark, d):

@@ -13,6 +13,7 @@ from webloom.functions import predicates as R
 from webloom.functions import scanners as SC
 from webloom.functions import signals as S
 from webloom.functions import urls as U
+from webloom.operators import packages as K
 from webloom.operators import pages as O
 from webloom.operators import rebuild as B
 from webloom.operators.tables import cut
@@ -107,6 +108,15 @@ _case("ag19_queue_stats", "url string, depth int, status string", [("a", 0, "com
 _case("g03_retries", "url string, retries int", [("a", 0), ("b", 2), ("c", 3)], lambda df: B.retried(df, 3), "url:VARCHAR retries:INTEGER status:VARCHAR wait_ms:BIGINT", [("a", 1, "queued", 500), ("b", 3, "queued", 2000), ("c", 3, "skipped", None)])
 _case("ag21_missing", "name string", [("a",), ("b",), ("b",)], lambda df: B.missing_dependencies(df, df.where("name = 'a'")), "name:VARCHAR", [("b",)])
 
+
+# Packages and projects.
+_VENDOR = ["a/node_modules/@s/Lodash/x.js", "v/lodash-Abc123.js", "v/react-dom-AbC1d2.mjs", "v/react-17.0.2/index.js", "v/react/src/a.js", "react/src/a.js", "v/react-dom.js", "v\\react\\esm\\b.js", "v/my-1.2.3-4.5.6/x", "v/react/src"]
+_case("j04_package_files", "path string", [(x,) for x in _VENDOR], lambda df: K.package_files(df, df.sparkSession.createDataFrame([("@s/lodash",), ("react",), ("react-dom",), ("my",), ("my-1.2.3",)], "name string")), "package:VARCHAR path:VARCHAR", [("@s/lodash", _VENDOR[0]), ("@s/lodash", _VENDOR[1]), ("react-dom", _VENDOR[2]), ("react", _VENDOR[3]), ("react", _VENDOR[4]), ("react", _VENDOR[7]), ("my", _VENDOR[8]), ("my-1.2.3", _VENDOR[8])])
+_case("j26_alias_locations", "path string, ord int", [("nav/../../node_modules/@fp/pkg/x.js", 1), ("main/node_modules/@fp/pkg/y.js", 0), ("a/b.js", 2)], lambda df: K.alias_locations(df.sparkSession.createDataFrame([("p", "@fp/pkg"), ("q", "other")], "alias string, package string"), df), "alias:VARCHAR package:VARCHAR location:VARCHAR", [("p", "@fp/pkg", "./main/node_modules/@fp/pkg"), ("q", "other", "./node_modules/other")])
+_case("f24_project_tests", "path string, content string", [("src/a.ts", "import './x.scss'"), ("b.module.css.ts", None), ("package.json", "{}")], lambda df: K.project_tests(df), "sass:BOOLEAN css_modules:BOOLEAN typescript:BOOLEAN built:BOOLEAN missing:VARCHAR", [(True, True, False, False, "vite.config.ts,index.html")])
+_case("f17_package_folders", "path string", [("nav/x.ts",), ("utils/x.ts",), ("my_pkg/x.ts",), ("ui/src/a.tsx",), ("doc/readme.md",), ("deep/inner/readme.md",), ("out/dist/x.js",), ("root.ts",)], lambda df: K.package_folders(df), "folder:VARCHAR package:BOOLEAN", [("nav", True), ("utils", False), ("my_pkg", False), ("ui", True), ("doc", False), ("deep", True), ("out", False)])
+_case("g09_closure", "src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("c", "f")], lambda df: K.closure(df.sparkSession.createDataFrame([("a",)], "path string"), df, 10, cut), "path:VARCHAR round:INTEGER", [("a", 0), ("b", 1), ("c", 2), ("f", 3)])
+
 QUERIES = {k: v for k, v in _QUERIES.items() if k not in _before}
 ORACLE_SQL = {k: v for k, v in _SQL.items() if k not in _before}
 
@@ -134,6 +144,22 @@ def event_cache_stats(spark, d):
     return B.cache_stats(PG._t(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("props").alias("body")))
 
 
+def page_predicates(spark, d):
+    """F-09, F-11, F-23: what the addresses and sizes of pages say."""
+    path = U.url_path(F.col("url"))
+    return PG._t(spark, d, "pages").select(
+        "page_id", R.extension(path).alias("extension"), R.is_media(F.col("url")).alias("media"), R.is_code(path).alias("code"),
+        R.passes_size(F.octet_length("html").cast("string"), 2000).alias("small"), R.is_entry(F.col("html")).alias("entry"),
+    )
+
+
+def document_versions(spark, d):
+    """F-18: the first digit of each document, and whether it can begin a version by the text around it."""
+    at = F.regexp_instr("text", F.lit("[0-9]")) - 1
+    t = PG._t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", at.cast("int")).where("place >= 0")
+    return t.select("doc_id", "place", R.version_context(F.col("text"), F.col("place")).alias("version"))
+
+
 def scanned_files(spark, d):
     """S-09, S-12: pages written as files below a folder for each host, scanned again by name; files of other names and folders stay out."""
     p = PG._t(spark, d, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]*)", 1).alias("host"), F.concat(F.col("page_id").cast("string"), F.lit("\t"), F.length("html").cast("string")).alias("value"))
@@ -155,10 +181,17 @@ _LINKS = f"""{PG._P}, l AS (SELECT page_id, origin, generate_subscripts(h, 1) -
 _DEPTHS = "".join(
     f",\n  d{k} AS (SELECT dst AS url, {k} AS depth, min(list_append(key, pos)) AS key FROM d{k - 1} JOIN e ON src = url WHERE dst NOT IN ({' UNION ALL '.join(f'SELECT url FROM d{j}' for j in range(k))}) GROUP BY dst)" for k in range(1, 6)
 )
-QUERIES |= {f.__name__: f for f in (crawl_in_order, fixture_groups, event_cache_stats, scanned_files)}
+QUERIES |= {f.__name__: f for f in (crawl_in_order, fixture_groups, event_cache_stats, page_predicates, document_versions, scanned_files)}
 ORACLE_SQL |= {
     "crawl_in_order": f"WITH {_LINKS}{_DEPTHS}, a AS ({' UNION ALL '.join(f'SELECT * FROM d{k}' for k in range(6))}), t AS (SELECT * FROM a ORDER BY depth, key LIMIT 1000) SELECT url, depth, array_to_string(key, '.') AS key FROM t",
     "fixture_groups": f"WITH {PG._REQ} SELECT 'GET ' || pattern AS key, count(*) AS n, min(page_id) AS first FROM r GROUP BY 1",
     "event_cache_stats": "SELECT event_type AS kind, count(*) AS n, coalesce(CAST(sum(length(props)) AS BIGINT), 0) AS chars FROM events GROUP BY 1",
+    "page_predicates": rf"""WITH {PG._P}, x AS (SELECT *, lower(regexp_extract(path, '[^/](\.[^./]*)$', 1)) AS extension FROM p)
+      SELECT page_id, extension, regexp_matches(lower(path), '\.(mp4|webm|ogg|ogv|mp3|wav|flac|aac|m4a|m4v|mov|avi|mkv)$') AS media, extension IN ('.js', '.jsx', '.ts', '.tsx', '.mjs', '.cjs') AS code, strlen(html) <= 2000 AS small,
+        regexp_matches(html, '<[A-Z][a-zA-Z0-9]*[\s/>]') AND (regexp_matches(html, 'createRoot\s*\(|ReactDOM\.render\s*\(|\.render\s*\(\s*<|document\.getElementById\s*\(') OR len(list_filter(string_split(html, chr(10)), lambda l: NOT regexp_matches(trim(l), '^(import |export |//|/\*|\*|$)'))) > 10) AS entry FROM x""",
+    "document_versions": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), d AS (SELECT doc_id, text, length(regexp_extract(text, '^[^0-9]*')) AS place FROM t WHERE regexp_matches(text, '[0-9]')),
+      c AS (SELECT doc_id, CAST(place AS INTEGER) AS place, text[CAST(greatest(place - 100, 0) + 1 AS BIGINT):place] AS before, text[CAST(greatest(place - 100, 0) + 1 AS BIGINT):place + 100] AS around FROM d)
+      SELECT doc_id, place, NOT (regexp_matches(before, 'https?://[^\s]*$') OR regexp_matches(before, '[?&][\w-]*=?\s*$') OR regexp_matches(before, '\[[\w.]*version') OR regexp_matches(before, '\[options\.')
+        OR (regexp_matches(before, '/[\w.-]+/[\w.-]+$') AND contains(before, '://')) OR regexp_matches(around, '@param\s+\{')) AS version FROM c""".replace("\\", "\\"),
     "scanned_files": f"WITH {PG._P} SELECT host, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM p GROUP BY 1",
 }

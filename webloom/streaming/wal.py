@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from webloom.operators.tables import numbered
 
 # The kinds of event.
 EVENT_TYPES = (
@@ -34,8 +35,7 @@ def valid_prefix(lines: DataFrame) -> DataFrame:
 
 def first_gap(events: DataFrame, start: int = 0) -> DataFrame:
     """W-04: the first place (from 0) whose sequence number is not the next one."""
-    w = Window.orderBy("line_no")
-    return events.withColumn("i", F.row_number().over(w) - 1).where(F.col("seq") != start + 1 + F.col("i")).agg(F.min("i").alias("gap"))
+    return numbered(events, [F.col("line_no")], "i").where(F.col("seq") != start + 1 + F.col("i")).agg(F.min("i").cast("int").alias("gap"))
 
 
 def fold_phases(events: DataFrame, last_seq: int = 0) -> DataFrame:
