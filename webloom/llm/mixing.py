@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.llm.common import stored
+from webloom.llm.common import discard, stored
 
 #: Blocks of a source; a block of the largest source is what one task orders at most.
 BLOCKS = 8192
@@ -117,6 +117,7 @@ def mix(docs: DataFrame, budget: int | None = None, target: float = ENTROPY, max
     )
     ends = plan.join(ends, "_mix_source", "left").withColumn("_mix_room", F.col("_mix_rest") - (F.col("_mix_end_upto") - F.col("_mix_end_tokens")))
     ends = spark.createDataFrame(ends.collect(), ends.schema)  # a row for each source
+    discard(per_block)
     # Within that block, the last place in the order that still fits; equal places stand together.
     inside = Window.partitionBy("_mix_source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
