@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import decontam, knn, langid, lines, secrets, toxicity
+from webloom.llm import common, decontam, knn, langid, lines, secrets, toxicity
 
 
 def docs(spark, rows):
@@ -132,6 +132,42 @@ def test_recall_on_lines_of_6_to_30_words(spark, kind, least):
     assert len(pairs) > 120 and len(found) >= least * len(pairs)
 
 
+def variants(seed, families=4, each=40):
+    """Lines of families that share a passage, their edit similarities about ``lines.SIMILARITY``."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9)))
+    out = []
+    for _ in range(families):
+        passage, own = [word() for _ in range(12)], [word() for _ in range(24)]
+        for _ in range(each):
+            out.append(" ".join(passage + [word() if r.random() < 0.16 else w for w in own]))
+    return out
+
+
+def candidate_groups(spark, texts):
+    """Each line's first line in its component of all candidates, compared one by one: those that agree on a block."""
+    signed = lines.with_simhash(lines.split_lines(docs(spark, list(enumerate(texts))))).collect()
+    rows = {x["doc_id"]: (x["sim"], {x[k] for k in lines.KEYS} - {None}) for x in signed}
+    first = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            (sa, ka), (sb, kb) = rows[a], rows[b]
+            apart = ((sa ^ sb) & (1 << 64) - 1).bit_count()
+            if first[a] != first[b] and (apart <= lines.DISTANCE or apart <= lines.LOOSE and ka & kb):
+                if edits(texts[a], texts[b]) <= (1 - lines.SIMILARITY) * max(len(texts[a]), len(texts[b])):
+                    low, high = sorted((first[a], first[b]))
+                    first = [low if x == high else x for x in first]
+    return first
+
+
+def test_all_candidates_of_a_block_are_compared(spark):
+    texts = variants(21)
+    table = common.stored(lines.split_lines(docs(spark, list(enumerate(texts)))), "test-lines")
+    found = {(x["id"], x["id2"]): x["doc_id"] for x in lines.groups(table).collect()}
+    got = [found.get((x["id"], x["id2"]), x["doc_id"]) for x in table.orderBy("doc_id").collect()]
+    assert got == candidate_groups(spark, texts)
+
+
 def test_line_columns_of_any_name(spark):
     df = docs(spark, [(1, "the same line of some words\nown one of the first"), (2, "the same line of some words\nown one of the second")])
     df = df.withColumns({"lost_id": F.lit(1), "lost_places": F.lit(2), "_drop": F.lit(3), "n_chars": F.length("text")})
