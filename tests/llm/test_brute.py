@@ -168,6 +168,12 @@ def test_all_candidates_of_a_block_are_compared(spark):
     assert got == candidate_groups(spark, texts)
 
 
+def test_stage_keeps_one_line_of_all_that_candidates_join(spark):
+    texts = variants(22)
+    kept = sorted(x["doc_id"] for x in lines.stage(docs(spark, list(enumerate(texts)))).collect())
+    assert kept == [i for i, first in enumerate(candidate_groups(spark, texts)) if i == first]
+
+
 def test_line_columns_of_any_name(spark):
     df = docs(spark, [(1, "the same line of some words\nown one of the first"), (2, "the same line of some words\nown one of the second")])
     df = df.withColumns({"lost_id": F.lit(1), "lost_places": F.lit(2), "_drop": F.lit(3), "n_chars": F.length("text")})
