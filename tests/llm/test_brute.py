@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,6 +175,31 @@ def test_stage_keeps_one_line_of_all_that_candidates_join(spark):
     assert kept == [i for i, first in enumerate(candidate_groups(spark, texts)) if i == first]
 
 
+def test_letters_leave_out_only_pairs_that_cannot_link(spark):
+    texts = variants(23, 2, 12) + ["e" * 300 + "é漢" * 9, "e" * 290 + "é漢" * 9, "", "zz zz é", *("qxj " * n for n in (70, 80))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, norm string")
+    bags = lines._with_bags(rows).withColumns({"key": F.lit(1), "keys": F.array(F.lit(1)), "sim": F.lit(0), "component": F.col("rid")})
+    chars = rows.select(F.col("row").alias("rid"), F.length("norm").alias("chars"))
+    got = {(x["a"], x["b"]) for x in lines._rest(bags.join(chars, "rid"), 0).collect()}
+
+    def bag(text):
+        known = Counter(c if c in lines.LETTERS else "" for c in text)
+        return Counter({c: min(n, 255) for c, n in known.items()})
+
+    want, fits, link = set(), 0, set()
+    for b, tb in enumerate(texts):
+        for a, ta in enumerate(texts[:b]):
+            longer, most = max(len(ta), len(tb)), int(max(len(ta), len(tb)) * (1 - lines.SIMILARITY) + 1e-9)
+            if min(len(ta), len(tb)) >= lines.SIMILARITY * longer:
+                fits += 1
+                x, y = bag(ta), bag(tb)
+                if max((x - y).total(), (y - x).total()) <= most:
+                    want.add((a, b))
+                if edits(ta, tb) <= most:
+                    link.add((a, b))
+    assert got == want and link <= got and len(got) < fits
+
+
 def test_line_columns_of_any_name(spark):
     df = docs(spark, [(1, "the same line of some words\nown one of the first"), (2, "the same line of some words\nown one of the second")])
     df = df.withColumns({"lost_id": F.lit(1), "lost_places": F.lit(2), "_drop": F.lit(3), "n_chars": F.length("text")})
