@@ -175,6 +175,24 @@ def test_stage_keeps_one_line_of_all_that_candidates_join(spark):
     assert kept == [i for i, first in enumerate(candidate_groups(spark, texts)) if i == first]
 
 
+def test_each_round_joins_components_by_its_own_links_only(spark, monkeypatch):
+    rounds, join = [], lines.components
+
+    def joined(links):
+        nodes = join(links)
+        rounds.append(({x for r in links.collect() for x in (r["a"], r["b"])}, {r["node"] for r in nodes.collect() if r["node"] != r["component"]}))
+        return nodes
+
+    monkeypatch.setattr(lines, "components", joined)
+    table = common.stored(lines.split_lines(docs(spark, list(enumerate(variants(24, 3, 30))))), "test-lines")
+    lines.groups(table)
+    assert sum(bool(seen) for seen, _ in rounds) > 1
+    gone = set()
+    for seen, moved in rounds:  # a line whose component got another name is not looked at again
+        assert not seen & gone
+        gone |= moved
+
+
 def test_letters_leave_out_only_pairs_that_cannot_link(spark):
     texts = variants(23, 2, 12) + ["e" * 300 + "é漢" * 9, "e" * 290 + "é漢" * 9, "", "zz zz é", *("qxj " * n for n in (70, 80))]
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, norm string")
