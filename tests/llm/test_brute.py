@@ -193,6 +193,13 @@ def test_each_round_joins_components_by_its_own_links_only(spark, monkeypatch):
         gone |= moved
 
 
+def test_driver_lets_go_between_rounds(spark, monkeypatch):
+    calls, release = [], lines.release
+    monkeypatch.setattr(lines, "release", lambda session: (calls.append(1), release(session)))
+    assert lines.dropped(docs(spark, [(1, "one line of a few words here"), (2, "One line of a  few words here")])).count() == 1
+    assert len(calls) >= 2 * len(lines.STEPS)
+
+
 def test_letters_leave_out_only_pairs_that_cannot_link(spark):
     texts = variants(23, 2, 12) + ["e" * 300 + "é漢" * 9, "e" * 290 + "é漢" * 9, "", "zz zz é", *("qxj " * n for n in (70, 80))]
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, norm string")
